@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quadframe.llm import packing, secret_scan, sharding, simple8b
+from quadframe.llm import packing, secret_scan, sharding, simple8b, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_packing": packing.op3_packing,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op10_simple8b": simple8b.op10_simple8b,
 }
 
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.OP1_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
 }
