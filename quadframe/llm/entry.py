@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadframe.llm import packing, secret_scan, sharding, simple8b, substring_dedup
+from quadframe.llm import jaccard_join, packing, secret_scan, sharding, simple8b, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_packing": packing.op3_packing,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op8_sharding": sharding.op8_sharding,
     "op10_simple8b": simple8b.op10_simple8b,
 }
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_jaccard_join": jaccard_join.OP5_SQL,
 }
