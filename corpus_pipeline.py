@@ -1,21 +1,56 @@
-"""A pipeline from raw documents to packed training sequences.  Each stage calls one operator."""
+"""A pipeline from raw documents to packed training sequences.  Each stage calls one operator.
+
+Stages, in order: toxicity (documents scored 0.5 or more go), n-gram Jaccard join (one document of each
+group of near duplicates stays), benchmark decontamination (documents that hold an item go), secret scans
+(secrets are replaced by a mark; all documents stay), packing.
+
+A row is a document: rows with equal ids are told apart by their texts where they differ, and equal rows
+are near duplicates of each other.  Null texts count as empty and pass.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadframe.llm import packing, secret_scan
+from quadframe.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
+from quadframe.llm.common import read_table, shared_dir
+from quadframe.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id isn't listed; rows with null ids stay."""
+    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier finds toxic."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group linked by 80 % of their five-word shingles."""
+    groups = jaccard_join.link_components(docs, jaccard_join.Similarity(words=5, percent=80))
+    return _without(docs, groups.where("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+
+
+def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secret part of each finding; every document stays."""
     findings, _ = secret_scan.scan_unseen(docs)
-    found = secret_scan.join_back(docs, findings)
-    text = F.when(F.col("found").isNotNull(), secret_scan.redact(F.col("text"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.when(F.col("found").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    marked = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(findings.select("blob", F.lit(True).alias("found")).distinct(), "blob", "left")
+    text = F.when(F.col("found"), secret_scan.redact(F.col("text"))).otherwise(F.col("text"))
+    changed = marked.withColumn("text", text)
+    return changed.withColumn("n_chars", F.when(F.col("found"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_and_cut(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
-STAGES = [("secret scans", secrets), ("packing", packed)]
+STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("decontamination", leaked), ("secret scans", secrets), ("packing", packed)]
 
 #: The classifier of the first stage can't be expressed in SQL.
 ORACLE_SQL = None
@@ -33,4 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to the documents, each stage's result written and read again."""
-    raise NotImplementedError
+    ship(spark)
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs

@@ -299,6 +299,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(_apply(model, False, None), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def _keep(model: Model, below: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(model)
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for part in text_batches(texts):
+                clean = _probability(scorer.evidence(texts[part]), model.link) < below
+                yield batch.slice(part.start, part.stop - part.start).filter(pa.array(clean))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose score lies below a threshold."""
+    return docs.mapInArrow(_keep(model, below), docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document, and whether its label was kept out of training."""
     docs = read_table(spark, sf_dir, "documents")
