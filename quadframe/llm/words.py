@@ -16,10 +16,12 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces of text that one generation of the cache holds, for each Python worker.
-CACHE_PIECES = 250_000
-#: Longer pieces are tokenized but not kept.
-CACHE_CHARS = 64
+#: Pieces of text that the cache holds, for each Python worker, before it starts anew.
+CACHE_PIECES = 1_000_000
+#: Characters that may mark the ends of pieces.
+_MARKS = "¤¦§¶¬±†‡•®©"
+#: Marks that may end a word; an apostrophe isn't among them, for it may start a token with letters.
+_TAIL = ".,;:!?*&%#$|()[]"
 
 #: A run of ASCII white space and the run of other characters behind it.
 _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
@@ -27,10 +29,16 @@ _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile(r"[^\S \t-\r]")
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n elements, doubled if need be."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class CachedTokenizer:
     """Ids of texts by the tokenizer in a file of the ``tokenizers`` library, without special tokens.
 
-    ``drops_space``: the tokenizer normalizes white space away, so pieces hold none.
+    New pieces are encoded many at a time, with a mark between them: a character that has one id of its
+    own there.  Pieces that hold the mark, or that could touch it, are encoded alone.
     """
 
     def __init__(self, path: str):
@@ -38,56 +46,98 @@ class CachedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = self.tokenizer.pre_tokenizer.__class__.__name__
-        self.drops_space = kind == "Sequence"
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: list[str], into: dict[str, np.ndarray]) -> None:
-        """Puts ids of new pieces into the given mapping and, if short, into the cache."""
-        missing = []
+        #: The tokenizer normalizes white space and upper case away: pieces hold no white space, and no
+        #: upper case in ASCII, which meets the same normal forms.
+        self.drops_space = self.tokenizer.normalizer is not None
+        self.mark, self.mark_id = next((c, ids[0]) for c in _MARKS if len(ids := self._ids([f" {c}"])[0]) == 1)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.place: dict[str, int] = {}
+        self.used = 0
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Puts the ids of pieces that aren't in the cache into it."""
+        if self.drops_space:
+            joined = [p for p in pieces if self.mark not in p]
+            between = f" {self.mark} "
+        else:
+            joined = [p for p in pieces if self.mark not in p and (p[0].isalpha() or p[0] in " \t\n\r\x0b\x0c" and not p.isspace())]
+            between = f" {self.mark}"
+        known = set(joined)
+        alone = [p for p in pieces if p not in known]
+        parts, sizes = [], []
+        for k in range(0, len(joined), 512):
+            some = joined[k : k + 512]
+            ids = np.array(self._ids([between.join(some)])[0], dtype=np.uint32)
+            cut = np.flatnonzero(ids == self.mark_id)
+            assert len(cut) == len(some) - 1
+            parts.append(ids[ids != self.mark_id])
+            sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+        for ids in self._ids(alone) if alone else []:
+            parts.append(np.array(ids, dtype=np.uint32))
+            sizes.append(np.array([len(ids)]))
+        self._add(joined + alone, parts, sizes)
+
+    def _add(self, pieces: list[str], parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        if not pieces:
+            return
+        at, ids, size = len(self.place), np.concatenate(parts), np.concatenate(sizes)
+        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.pool = _grown(self.pool, self.used + len(ids))
+        self.begin, self.size = _grown(self.begin, at + len(pieces)), _grown(self.size, at + len(pieces))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[at : at + len(pieces)] = size
+        self.begin[at : at + len(pieces)] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's end."""
+        n = self.size[places]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.arange(total) + np.repeat(self.begin[places] - (ends - n), n)], ends
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts new pieces into the cache; a letter and the marks behind it are never in one token, so a
+        word with marks at its end takes the ids of both."""
+        whole, joint = [], []
         for p in pieces:
-            known = self.old.get(p)
-            if known is None:
-                missing.append(p)
+            stem = p.rstrip(_TAIL)
+            if len(stem) < len(p) and stem and stem[-1].isalpha():
+                joint.append((p, stem, p[len(stem) :]))
             else:
-                into[p] = known
-                self.young[p] = known
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                into[p] = ids = np.array(e.ids, dtype=np.uint32)
-                if len(p) <= CACHE_CHARS:
-                    self.young[p] = ids
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
+                whole.append(p)
+        if new := {x for _, *both in joint for x in both}.union(whole) - self.place.keys():
+            self._encode(list(new))
+        if joint := [x for x in joint if x[0] not in self.place]:
+            both = np.array([(self.place[a], self.place[b]) for _, a, b in joint])
+            ids, _ = self._gather(both.ravel())
+            self._add([p for p, _, _ in joint], [ids], [self.size[both].sum(axis=1)])
 
     def pieces(self, text: str) -> list[str]:
         """The text cut where tokens never cross."""
-        if _OTHER_SPACE.search(text):
+        if not text.isascii() and _OTHER_SPACE.search(text):
             return [text]
-        return text.split() if self.drops_space else _SPACED.findall(text)
+        return text.encode().lower().decode().split() if self.drops_space else _SPACED.findall(text)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of ids of each text."""
+        if len(self.place) > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
+            self._reset()
         cut = [self.pieces(t) for t in texts]
-        distinct = set(chain.from_iterable(cut))
-        young = self.young
-        table = {p: young[p] for p in distinct if p in young}
-        self._learn([p for p in distinct if p not in table], table)
-        code = {p: i for i, p in enumerate(table)}
-        ids = list(table.values())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
+        flat = list(chain.from_iterable(cut))
+        if new := set(flat) - self.place.keys():
+            self._learn(new)
+        ids, ends = self._gather(np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat)))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = pool[np.arange(total) + np.repeat(starts[codes] - (ends - n), n)]
         text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return flat, np.diff(text_ends, prepend=0)
+        return ids, np.diff(text_ends, prepend=0)
 
 
 @lru_cache(maxsize=4)
