@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel of two words sums, over all subsequences of three characters inside seven, the product of both
-words' weights for it, DECAY to the power of the length spanned; words are framed by marks, and the kernel
+The kernel of two words sums, over all subsequences of three or four characters inside six, the product of
+both words' weights for it, DECAY to the power of the length spanned; words are framed by marks, and the kernel
 is divided by what the lengths alone make of it.  So an insult with gaps or inserted characters still
 shares most of its subsequences.  A sentence is as toxic as its worst words.
 
@@ -24,7 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,10 @@ TRAIN_ROWS = 20_000
 TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 6_000, 20_000, 64
 ROUNDS = 4
 
-DECAY = 0.7
-SPAN = 7
+DECAY = 0.6
+SPAN = 6
 LONGEST = 18
-_BITS = 18
+_BITS = 20
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¿¡"
 _CACHE = 250_000
 _LETTERS = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
@@ -60,10 +60,14 @@ def spans(text: str) -> list[str]:
 
 @lru_cache(maxsize=64)
 def _places(n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Places of all subsequences in a word of n characters, their weights, and the norm of these."""
-    at = [(i, j, k) for i in range(n) for j in range(i + 1, min(n, i + SPAN)) for k in range(j + 1, min(n, i + SPAN))]
-    at = np.array(at, np.int64).reshape(-1, 3)
-    weight = DECAY ** (at[:, 2] - at[:, 0] + 1.0) if len(at) else np.zeros(0)
+    """Places of all subsequences in a word of n characters, their weights, and the norm of these.
+
+    A subsequence of three characters has n as its fourth place.
+    """
+    at = [(i, *rest, *[n] * (3 - len(rest))) for i in range(n) for size in (2, 3) for rest in combinations(range(i + 1, min(n, i + SPAN)), size)]
+    at = np.array(at, np.int64).reshape(-1, 4)
+    last = np.where(at[:, 3] == n, at[:, 2], at[:, 3])
+    weight = DECAY ** (last - at[:, 0] + 1.0) if len(at) else np.zeros(0)
     return at, weight, float(np.sqrt((weight**2).sum())) or 1.0
 
 
@@ -88,8 +92,9 @@ def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
                 n = some[0][0]
                 at, weight, norm = _places(n)
                 code = np.frombuffer("".join(p for _, _, p in some).encode("utf-32-le"), "<u4").reshape(-1, n).astype(np.uint64)
+                code = np.hstack([code, np.zeros((len(some), 1), np.uint64)])
                 h = (code[:, at[:, 0]] * np.uint64(0x9E3779B1) + code[:, at[:, 1]]) * np.uint64(0x85EBCA77) + code[:, at[:, 2]]
-                h = (h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _BITS)
+                h = ((h * np.uint64(0x27D4EB2F165667C5) + code[:, at[:, 3]]) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _BITS)
                 out.append((np.array([i for _, i, _ in some]), h.astype(np.int32), (weight / norm).astype(np.float32)))
             begin = k
     return out
@@ -204,49 +209,62 @@ class _Landmarks:
     """The Nystroem map of the kernel at some words."""
 
     def __init__(self, words: list[str]):
-        self.vectors = np.zeros((len(words), 1 << _BITS), np.float32)
-        for i, cells, weight in features(words):
-            for k, c in zip(i, cells, strict=True):
-                np.add.at(self.vectors[k], c, weight)
-        value, vector = np.linalg.eigh((self.vectors @ self.vectors.T).astype(np.float64))
+        made = features(words)
+        self.cells = np.unique(np.concatenate([c.ravel() for _, c, _ in made]))
+        self.vectors = np.zeros((len(self.cells) + 1, len(words)), np.float32)  # the last row: other cells
+        for i, cells, weight in made:
+            np.add.at(self.vectors, (np.searchsorted(self.cells, cells), i[:, None]), weight)
+        value, vector = np.linalg.eigh((self.vectors.T @ self.vectors).astype(np.float64))
         keep = value > 1e-6 * value.max()
         self.root = vector[:, keep] / np.sqrt(value[keep])
 
     def map(self, words: list[str]) -> np.ndarray:
-        kernel = np.full((len(words), len(self.vectors)), -np.inf, np.float32)
-        across = np.ascontiguousarray(self.vectors.T)
+        kernel = np.full((len(words), self.vectors.shape[1]), -np.inf, np.float32)
         for i, cells, weight in features(words):
-            for k in range(0, len(i), 512):
-                np.maximum.at(kernel, i[k : k + 512], np.einsum("ncl,c->nl", across[cells[k : k + 512]], weight))
+            place = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+            place[self.cells[place] != cells] = len(self.cells)
+            for k in range(0, len(i), 256):
+                np.maximum.at(kernel, i[k : k + 256], np.einsum("ncl,c->nl", self.vectors[place[k : k + 256]], weight))
         return kernel @ self.root
 
     def weights(self, w: np.ndarray) -> np.ndarray:
-        return (self.root @ w) @ self.vectors
+        full = np.zeros(1 << _BITS, np.float32)
+        full[self.cells] = self.vectors[:-1] @ (self.root @ w)
+        return full
 
 
 def train_words(toxic: list[tuple[str, int, int]], clean: list[tuple[str, int, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of the subsequences and the bias, from rows (word, toxic sentences, clean sentences).
 
-    ``toxic`` is ordered by its evidence, the strongest first.
+    ``toxic`` is ordered by its evidence, the strongest first.  Landmarks are the toxic words with the
+    strongest evidence, as many clean words, and, from the second round on, the clean words that the last
+    round took for toxic most.
     """
     words = [w for w, _, _ in [*toxic, *clean]]
     seen = np.array([(a, c) for _, a, c in [*toxic, *clean]], float)
     is_toxic = np.arange(len(words)) < len(toxic)
     positive = is_toxic & (np.arange(len(words)) < max(20, len(toxic) // 20))
     step = max(1, len(clean) // landmarks)
-    marks = _Landmarks(list(dict.fromkeys([*words[:landmarks], *(w for w, _, _ in clean[::step][:landmarks])])))
-    x = marks.map(words)
-    w, b = np.zeros(x.shape[1]), 0.0
-    for _ in range(rounds):
+    even, hard = [w for w, _, _ in clean[::step][:landmarks]], []
+    weights, bias = np.zeros(1 << _BITS, np.float32), 0.0
+    for k in range(rounds):
+        strong = [words[i] for i in np.flatnonzero(positive)[:landmarks]]
+        marks = _Landmarks(list(dict.fromkeys([*strong, *even, *hard])))
+        x = marks.map(words)
         use = positive | ~is_toxic
         y = np.where(positive, 1.0, -1.0)
         mass = np.where(positive, np.log1p(seen[:, 0]), np.log1p(seen[:, 1]))
         mass[positive] *= mass[~is_toxic].sum() / max(mass[positive].sum(), 1e-9) / 4
         w, b = svm(x[use], y[use], mass[use])
-        positive = is_toxic & (x @ w + b > 0)
-        if not positive.any():
-            positive = is_toxic & (np.arange(len(words)) < 20)
-    return marks.weights(w).astype(np.float32), b
+        decision = x @ w + b
+        weights, bias = marks.weights(w), b
+        order = np.argsort(-decision, kind="stable")
+        hard = [words[i] for i in order[~is_toxic[order]][:landmarks]]
+        if k < rounds - 1:
+            chosen = order[is_toxic[order] & (decision[order] > 0)]
+            positive = np.zeros(len(words), bool)
+            positive[chosen if len(chosen) else order[is_toxic[order]][:20]] = True
+    return weights, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
