@@ -5,7 +5,8 @@
    tell the batches which shingles two or more documents have, and how many.  A document needs a share of
    such shingles to have any partner; most have not and are done.  (Shingles that meet in 32 bits only
    look more frequent.)
-2. Classes.  Documents with equal sets are one class, joined as one.
+2. Classes.  Documents with equal sets are one class, and shingles are counted again by classes, so what
+   copies share with each other alone doesn't count.
 3. Candidates.  Shingles are ordered rarest first.  Let d be how many shingles a set can lack in a
    partner.  If the first d + 1 shingles of a set are all rare, each is indexed alone.  Otherwise the
    prefix is extended until a pair must share k = d + d' + 2 shingles of both prefixes, d' being the
@@ -13,10 +14,10 @@
    then of the k - 1 pairs of neighbours among them at most d + d' are broken by a shingle that only one
    side has, so both sets have the same two shingles next to each other: combinations of two neighbouring
    frequent shingles are indexed.  Either way every linked pair meets.
-4. Verification.  In each index entry all classes are compared with the one that has the fewest unshared
-   shingles; links make components.  Then all pairs of an entry that aren't in one component yet are
-   compared, so no link between components is lost, while a group of copies of any size costs one
-   comparison for each member.
+4. Verification.  In a few rounds, each class is compared with one other that it meets, the one with the
+   fewest unshared shingles; links make components.  Then all pairs of an entry that aren't in one
+   component yet are compared, unless their unshared shingles rule a link out, so no link between
+   components is lost, while a group of near copies costs a comparison or two for each member.
 
 Defined results: a null or empty text has an empty set and links with nothing; repeated rows link with
 each other if their set isn't empty; null ids are rows like others, and a component of such rows alone
@@ -31,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadframe.llm.common import bucket_of, cut, partitions, read_table, text_or_empty
@@ -42,6 +43,8 @@ BATCH_BYTES = 6_000_000
 BUCKET_HASHES = 2_000_000
 #: Shingles in at most so many documents are rare: they are indexed alone.
 RARE = 16
+#: Rounds in which each class is compared with one other, before all that are left.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,25 @@ RARE_LEVEL = int(level(np.array([RARE]))[0])
 class _Batch:
     """The sets of a batch: pairs (document, hash) without repeats, sorted by hash, then document."""
 
-    def __init__(self, texts: list[str], words: int):
+    def __init__(self, rows: pa.Table, words: int):
+        if "text" in rows.column_names:
+            h, document = self._of_texts(rows["text"].to_pylist(), words)
+        else:
+            sets = [np.frombuffer(x.as_py(), "<u8") for x in rows["tokens"]]
+            h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            document = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.lexsort((document, h))
+        h, document = h[order], document[order]
+        keep = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(document) != 0)]) if len(h) else np.zeros(0, bool)
+        self.hash, self.document = h[keep], document[keep]
+        new = np.concatenate([[True], np.diff(self.hash) != 0]) if len(self.hash) else np.zeros(0, bool)
+        self.begins = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.distinct = self.hash[self.begins]
+        self.documents_with = np.diff(np.append(self.begins, len(self.hash)))
+
+    @staticmethod
+    def _of_texts(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
         cut_ = [t.encode().lower().split() for t in texts]
         lengths = np.fromiter(map(len, cut_), np.int64, len(cut_))
         hashes = word_hashes([w for ws in cut_ for w in ws])
@@ -86,16 +107,7 @@ class _Batch:
                 begin = (np.cumsum(lengths) - lengths)[short]
                 parts.append(mix(run_hashes(hashes, n)[begin] + np.uint64(n)))
                 documents.append(short)
-        h, document = np.concatenate(parts), np.concatenate(documents)
-        order = np.lexsort((document, h))
-        h, document = h[order], document[order]
-        keep = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(document) != 0)]) if len(h) else np.zeros(0, bool)
-        self.hash, self.document = h[keep], document[keep]
-        new = np.concatenate([[True], np.diff(self.hash) != 0]) if len(self.hash) else np.zeros(0, bool)
-        self.begins = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
-        self.distinct = self.hash[self.begins]
-        self.documents_with = np.diff(np.append(self.begins, len(self.hash)))
+        return np.concatenate(parts), np.concatenate(documents)
 
 
 def _codes(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +116,7 @@ def _codes(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _send(words: int, buckets: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        b = _Batch(table["text"].to_pylist(), words)
+        b = _Batch(table, words)
         bucket, code = _codes(b.distinct, buckets)  # hashes ascend, so buckets do
         found, at = np.unique(bucket, return_index=True)
         ends = [*at.tolist()[1:], len(bucket)]
@@ -143,7 +155,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _sets(like: Similarity, buckets: int) -> Callable:
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Batch(docs["text"].to_pylist(), like.words)
+        b = _Batch(docs, like.words)
         bucket, code = _codes(b.distinct, buckets)
         mine = (bucket.astype(np.uint64) << np.uint64(32)) | code
         levels = np.zeros(len(mine), np.uint8)
@@ -171,7 +183,7 @@ def _sets(like: Similarity, buckets: int) -> Callable:
                 by = np.lexsort((h, v))
                 tokens[i] = h[by].astype("<u8").tobytes()
                 rare[i] = v[by].tobytes()
-        return pa.table({"doc_id": docs["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.int64()), "unshared": pa.array(sizes - shared, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "levels": pa.array(rare, pa.binary())})
+        return pa.table({"id": docs["id"], "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.int64()), "unshared": pa.array(sizes - shared, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "levels": pa.array(rare, pa.binary())})
 
     return run
 
@@ -193,7 +205,7 @@ def _signatures(like: Similarity) -> Callable:
             n = [len(r) for r in rows]
             at = np.repeat(np.arange(len(rows)), n)
             signature = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(nodes[at]), batch.column("n_shingles").take(pa.array(at)), batch.column("unshared").take(pa.array(at))], names=["signature", "node", "n", "unshared"])
+            yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(nodes[at]), batch.column("n").take(pa.array(at)), batch.column("unshared").take(pa.array(at))], names=["signature", "node", "n", "unshared"])
 
     return run
 
@@ -222,7 +234,51 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return cut(both.mapInArrow(_compare(percent), "a long, b long"))
 
 
-def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id", batch_bytes: int = BATCH_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
+def _counted(rows: DataFrame, like: Similarity, buckets: int) -> DataFrame:
+    """Sets of rows ``(id, text or tokens, batch)`` with how often their shingles occur: ``(id, n_shingles,
+    set_key, unshared, tokens, levels)``.  ``set_key`` is null if too few shingles occur in another row;
+    shingles stand in one row of a batch for each key."""
+    kind = rows.schema["id"].dataType.simpleString()
+    sent = rows.groupBy("batch").applyInArrow(_send(like.words, buckets), "bucket long, batch int, codes binary, many binary, counts binary")
+    replies = sent.groupBy("bucket").applyInArrow(_count, "batch int, bucket long, codes binary, levels binary")
+    return cut(rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_sets(like, buckets), f"id {kind}, n_shingles long, set_key long, unshared long, tokens binary, levels binary"))
+
+
+def _possible(like: Similarity, n: Column, u: Column, m: Column, v: Column) -> Column:
+    """Whether sets of n and m shingles, u and v of them in no other set, can be linked."""
+    most = F.least(n - u, m - v)
+    return 100 * most >= like.percent * (n + m - most)
+
+
+def _links(index: DataFrame, classes: DataFrame, like: Similarity, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all components, and the components of linked nodes."""
+    spark = index.sparkSession
+    links, found = None, spark.createDataFrame([], "node long, component long")
+    for last in [*[False] * rounds, True]:
+        placed = index.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = F.min(F.struct("unshared", "node", "n", "component")).alias("first")
+        if not last:
+            entries = placed.groupBy("signature").agg(first, F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+            other = (F.col("component") != F.col("first.component")) & _possible(like, F.col("n"), F.col("unshared"), F.col("first.n"), F.col("first.unshared"))
+            pairs = placed.join(entries, "signature").where(other).groupBy(F.col("node").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.node").alias("b"))
+        else:
+            members = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
+            main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
+            open_ = cut(placed.join(main, "signature"))
+            x, y = open_.where("component <> main").alias("x"), open_.alias("y")
+            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+            pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        new = _linked(pairs, classes, like.percent)
+        if new.isEmpty():
+            if last:
+                break
+            continue
+        links = new if links is None else links.union(new)
+        found = connected_components(links)
+    return links, found
+
+
+def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id", batch_bytes: int = BATCH_BYTES, bucket_hashes: int = BUCKET_HASHES, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, n_shingles, set_key, component_id)`` for every row.
 
     ``component_id`` is the smallest id that links reach.  ``set_key`` names the set, null where a
@@ -230,35 +286,16 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     """
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(2 * n, -(-size // batch_bytes))
-    buckets = max(n, -(-size // (5 * bucket_hashes)))
-    dealt = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key)).alias("batch"))
-    sent = dealt.groupBy("batch").applyInArrow(_send(like.words, buckets), "bucket long, batch int, codes binary, many binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(_count, "batch int, bucket long, codes binary, levels binary")
-    kind = dealt.schema["doc_id"].dataType.simpleString()
-    sets = cut(dealt.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_sets(like, buckets), f"doc_id {kind}, n_shingles long, set_key long, unshared long, tokens binary, levels binary"))
-    alone = sets.where(F.col("set_key").isNull()).select("doc_id", "n_shingles", "set_key", F.col("doc_id").alias("component_id"))
-    shared = sets.where(F.col("set_key").isNotNull())
-    classes = cut(shared.where(F.col("tokens").isNotNull()).groupBy(F.col("set_key").alias("node")).agg(F.first("n_shingles").alias("n_shingles"), F.min("unshared").alias("unshared"), F.first("tokens").alias("tokens"), F.first("levels").alias("levels")))
-
+    batches, buckets = max(2 * n, -(-size // batch_bytes)), max(n, -(-size // (5 * bucket_hashes)))
+    sets = _counted(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key)).alias("batch")), like, buckets)
+    alone = sets.where(F.col("set_key").isNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", F.col("id").alias("component_id"))
+    shared = sets.where(F.col("set_key").isNotNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", "tokens")
+    # equal sets are one class; what they alone have in common no longer counts as shared
+    once = shared.where(F.col("tokens").isNotNull()).groupBy(F.col("set_key").alias("id")).agg(F.first("tokens").alias("tokens"))
+    classes = _counted(once.withColumn("batch", bucket_of(batches, F.col("id"))), like, buckets).where(F.col("set_key").isNotNull()).select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "unshared", "tokens", "levels")
     index = classes.mapInArrow(_signatures(like), "signature long, node long, n long, unshared long")
-    entries = index.groupBy("signature").agg(F.count(F.lit(1)).alias("entries"), F.min(F.struct("unshared", "node", "n")).alias("first")).where("entries > 1")
-    index = cut(index.join(entries, "signature").select("signature", "node", "n", "first"))
-    fits = lambda x, y: 100 * F.least(x, y) >= like.percent * F.greatest(x, y)
-    star = index.where((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct()
-    links = _linked(star, classes, like.percent)
-    found = connected_components(links)
-
-    placed = index.select("signature", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
-    main = counts.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
-    open_ = cut(placed.join(main, "signature"))
-    x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-    apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    rest = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = _linked(rest, classes, like.percent)
-    if not more.isEmpty():
-        found = connected_components(links.union(more))
+    met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("signature")
+    _, found = _links(cut(index.join(met, "signature")), classes, like, rounds)
 
     named = shared.groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
