@@ -176,6 +176,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     return found
 
 
+#: For items of five words or more, as the tables have them.
+OP7_SQL = r"""
+with d as (select doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '[^\x20\x09-\x0D]+') as ws from documents),
+b as (select item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '[^\x20\x09-\x0D]+') as ws from benchmark),
+bg as (select item_id, m, g, count(*) as c from (select item_id, len(ws) as m, array_to_string(ws[i:i + 4], ' ') as g from (select item_id, ws, unnest(range(1, len(ws) - 3)) as i from b where len(ws) >= 5)) group by all),
+dg as (select doc_id, n, i, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, len(ws) as n, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 5)),
+hits as (select doc_id, item_id, n, m, i, g, c from dg join bg using (g)),
+starts as (select distinct doc_id, item_id, n, m, unnest(range(greatest(1, i - m + 5), least(i, greatest(1, n - m + 1)) + 1)) as s from hits),
+common as (select doc_id, item_id, n, m, s, g, least(count(*), any_value(c)) as c from starts join hits using (doc_id, item_id, n, m) where i between s and s + least(m, n) - 5 group by all),
+alike as (select doc_id, item_id, s, least(m, n) as n_words, sum(c) / (least(m, n) - 4 + m - 4 - sum(c)) as similarity from common group by doc_id, item_id, n, m, s),
+best as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, s) as r from alike)
+select doc_id, item_id, similarity, cast(s - 1 as bigint) as start, cast(n_words as bigint) as n_words from best where r = 1 and similarity >= 0.8
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -21,4 +21,5 @@ ORACLE_SQL = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_jaccard_join": jaccard_join.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
