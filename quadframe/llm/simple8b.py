@@ -121,7 +121,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _segments(path: str, end_id: int, keys: pa.DataType, ids_in_segment: int) -> Callable:
+def _segments(path: str, end_id: int, keys: pa.DataType, segment_chars: int) -> Callable:
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("doc_ids", pa.list_(keys)), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("offsets", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +131,7 @@ def _segments(path: str, end_id: int, keys: pa.DataType, ids_in_segment: int) ->
         encode_texts = tokenizer(path).encode_batch
         for batch in batches:
             key, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for some in text_batches(texts, ids_in_segment):
+            for some in text_batches(texts, segment_chars):
                 flat, counts = encode_texts(texts[some])
                 counts = counts + 1
                 ends = np.cumsum(counts)
@@ -149,14 +149,14 @@ def _segments(path: str, end_id: int, keys: pa.DataType, ids_in_segment: int) ->
     return run
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, text: str = "text", key: str = "doc_id", ids_in_segment: int = 1_000_000) -> None:
+def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, text: str = "text", key: str = "doc_id", segment_chars: int = 4_000_000) -> None:
     """Writes the ids of all documents in ascending order of ``key`` to the folder ``out``."""
     import pyspark.sql.pandas.types as types
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType
     ranged = source.repartitionByRange(2 * partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    segments = ranged.mapInArrow(_segments(tokenizer_path, end_id, types.to_arrow_type(kind), ids_in_segment), f"part int, segment long, doc_ids array<{kind.simpleString()}>, counts array<long>, n_ids long, offsets binary, words binary")
+    segments = ranged.mapInArrow(_segments(tokenizer_path, end_id, types.to_arrow_type(kind), segment_chars), f"part int, segment long, doc_ids array<{kind.simpleString()}>, counts array<long>, n_ids long, offsets binary, words binary")
     segments.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 
