@@ -17,7 +17,9 @@
 4. Verification.  In a few rounds, each class is compared with one other that it meets, the one with the
    fewest unshared shingles; links make components.  Then all pairs of an entry that aren't in one
    component yet are compared, unless their unshared shingles rule a link out, so no link between
-   components is lost, while a group of near copies costs a comparison or two for each member.
+   components is lost, while a group of near copies costs a comparison or two for each member.  An entry
+   carries the few signatures before it in its class's order; where two entries have one of these in
+   common, the pair has met there already and isn't made again.
 
 Defined results: a null or empty text has an empty set and links with nothing; repeated rows link with
 each other if their set isn't empty; null ids are rows like others, and a component of such rows alone
@@ -43,6 +45,8 @@ BATCH_BYTES = 6_000_000
 BUCKET_HASHES = 2_000_000
 #: Shingles in at most so many documents are rare: they are indexed alone.
 RARE = 16
+#: Signatures before its own that an entry of the index carries.
+BEFORE = 8
 #: Rounds in which each class is compared with one other, before all that are left.
 ROUNDS = 2
 
@@ -202,10 +206,15 @@ def _signatures(like: Similarity) -> Callable:
                 h, v = h[: d + like.extra(n)], v[: d + like.extra(n)]
                 often = h[v > RARE_LEVEL]
                 rows.append(np.concatenate([h[(v > 0) & (v <= RARE_LEVEL)], mix(often[:-1] * np.uint64(3) + mix(often[1:]))]))
-            n = [len(r) for r in rows]
+            rows = [np.unique(r.astype(np.int64)) for r in rows]
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
             at = np.repeat(np.arange(len(rows)), n)
-            signature = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(nodes[at]), batch.column("n").take(pa.array(at)), batch.column("unshared").take(pa.array(at))], names=["signature", "node", "n", "unshared"])
+            signature = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            earlier = np.minimum(np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n), BEFORE)
+            ends = np.cumsum(earlier)
+            inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - earlier, earlier)
+            before = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(signature[np.repeat(np.arange(len(at)) - earlier, earlier) + inner]))
+            yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(nodes[at]), batch.column("n").take(pa.array(at)), batch.column("unshared").take(pa.array(at)), before], names=["signature", "node", "n", "unshared", "before"])
 
     return run
 
@@ -266,7 +275,7 @@ def _links(index: DataFrame, classes: DataFrame, like: Similarity, rounds: int)
             main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
             open_ = cut(placed.join(main, "signature"))
             x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         new = _linked(pairs, classes, like.percent)
         if new.isEmpty():
@@ -293,7 +302,7 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     # equal sets are one class; what they alone have in common no longer counts as shared
     once = shared.where(F.col("tokens").isNotNull()).groupBy(F.col("set_key").alias("id")).agg(F.first("tokens").alias("tokens"))
     classes = _counted(once.withColumn("batch", bucket_of(batches, F.col("id"))), like, buckets).where(F.col("set_key").isNotNull()).select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "unshared", "tokens", "levels")
-    index = classes.mapInArrow(_signatures(like), "signature long, node long, n long, unshared long")
+    index = classes.mapInArrow(_signatures(like), "signature long, node long, n long, unshared long, before array<long>")
     met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("signature")
     _, found = _links(cut(index.join(met, "signature")), classes, like, rounds)
 
