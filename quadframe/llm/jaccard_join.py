@@ -123,7 +123,7 @@ def _send(words: int, buckets: int) -> Callable:
         b = _Batch(table, words)
         bucket, code = _codes(b.distinct, buckets)  # hashes ascend, so buckets do
         found, at = np.unique(bucket, return_index=True)
-        ends = [*at.tolist()[1:], len(bucket)]
+        ends = np.append(at[1:], len(bucket))[: len(at)].tolist()
         codes, many, counts = [], [], []
         for i, j in zip(at.tolist(), ends, strict=True):
             n, c = b.documents_with[i:j], code[i:j]
@@ -152,7 +152,7 @@ def _count(table: pa.Table) -> pa.Table:
     order = np.argsort(row, kind="stable")
     codes, levels, row = codes[order], levels[order], row[order]
     rows, at = np.unique(row, return_index=True)
-    ends = [*at.tolist()[1:], len(row)]
+    ends = np.append(at[1:], len(row))[: len(at)].tolist()
     cut_ = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at.tolist(), ends, strict=True)], pa.binary())
     return pa.table({"batch": table["batch"].combine_chunks().take(pa.array(rows, pa.int64())), "bucket": table["bucket"].combine_chunks().take(pa.array(rows, pa.int64())), "codes": cut_(codes.astype("<u4")), "levels": cut_(levels)})
 

@@ -318,3 +318,10 @@ def test_pipeline(spark, docs, none, tmp_path):
     hidden = corpus_pipeline.secrets(spark, docs.select(*corpus_pipeline.COLUMNS), "")
     assert hidden.count() == len(ROWS) and brute_spans(hidden.where("doc_id = 16").first()["text"]) == ""
     assert hashlib.sha256(hidden.where("doc_id = 13").first()["text"].encode()).digest() == hashlib.sha256(LONG.encode()).digest()
+
+
+def test_jaccard_join_nothing_shared(spark):
+    """A table in which no shingle stands in two documents, and one whose buckets are mostly empty."""
+    apart = frame(spark, [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(8)] + [(9, "alone"), (10, None)])
+    got = jaccard_join.link_components(apart, bucket_hashes=1)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: i for i in (*range(8), 9, 10)}
