@@ -48,31 +48,36 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(blocks * BLOCK, np.uint64)
     padded[:n] = ids
     grid[:, :BLOCK] = padded.reshape(blocks, BLOCK)
-    values = grid[:, :BLOCK]
-    place = np.arange(BLOCK, dtype=np.int32)
-    best = np.full((blocks, BLOCK), ESCAPE, np.int8)
-    for s in range(len(COUNTS) - 1, 1, -1):  # the selectors with more values overwrite those with fewer
-        wide = values >= np.uint64(1 << int(BITS[s]))
-        if wide.all():
+    # the selector of each value that is just wide enough; 16 if none is
+    narrowest = np.full(grid.shape, 2, np.int8)
+    for s in range(2, len(COUNTS)):
+        wide = grid >= np.uint64(1 << int(BITS[s]))
+        if not wide.any():
             break
-        # the next value that is too wide, from each place on; behind the block's end, all fit
-        bad = np.where(wide, place, BLOCK + 60)
-        bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        best[bad - place >= COUNTS[s]] = s
-    steps = COUNTS[best].astype(np.int32)
-    left = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    at = np.zeros(blocks, np.int32)
-    live = np.arange(blocks)
-    rows, cols = [], []
-    while len(live):
-        rows.append(live)
-        cols.append(at[live])
-        at[live] += steps[live, at[live]]
-        live = live[at[live] < left[live]]
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
-    chosen = best[row, col]
+        narrowest += wide
+    # a selector that fits the values from a place on lets all with fewer values fit too: count those that don't
+    best = np.full((blocks, BLOCK), 2, np.int8)
+    widest, reach = narrowest, 1  # of the next ``reach`` values
+    for s in range(len(COUNTS) - 1, 1, -1):
+        while reach < COUNTS[s]:
+            more = min(reach, int(COUNTS[s]) - reach)
+            widest = np.maximum(widest[:, : widest.shape[1] - more], widest[:, more:])
+            reach += more
+        best += widest[:, :BLOCK] > s
+    best[best == len(COUNTS)] = ESCAPE
+    best = best.ravel()
+    steps = COUNTS[best]
+    ends = np.minimum((np.arange(blocks) + 1) * BLOCK, n)
+    at = np.arange(blocks) * BLOCK
+    begun = np.zeros(blocks * BLOCK, bool)
+    while len(at):
+        begun[at] = True
+        at = at + steps[at]
+        live = at < ends
+        at, ends = at[live], ends[live]
+    place = np.flatnonzero(begun)
+    row, col = np.divmod(place, BLOCK)
+    chosen = best[place]
     size = np.where(chosen == ESCAPE, 2, 1)
     end = np.cumsum(size)
     begin = end - size

@@ -8,11 +8,12 @@ cache.  Texts for which the cut isn't proven to be exact are encoded whole.
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,13 +21,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_PIECES = 1_000_000
 #: Characters that may mark the ends of pieces.
 _MARKS = "¤¦§¶¬±†‡•®©"
-#: Marks that may end a word; an apostrophe isn't among them, for it may start a token with letters.
-_TAIL = ".,;:!?*&%#$|()[]"
+#: A piece that ends in a letter and marks behind it, which are never in one token: both are kept apart in
+#: the cache.  An apostrophe isn't among the marks, for it may start a token with letters.
+_ENDED = r"(?s)^(?P<stem>.*\pL)(?P<tail>[.,;:!?*&%#$|()\[\]]+)$"
 
-#: A run of ASCII white space and the run of other characters behind it.
-_SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: White space other than the six ASCII characters: tokenizers differ on it, such texts are not cut.
-_OTHER_SPACE = re.compile(r"[^\S \t-\r]")
+#: A run of white space as the six ASCII characters.
+_SPACE = r"([ \t-\r]+)"
+#: Other white space: tokenizers differ on it, such texts are not cut.
+_OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Characters of which one that no text holds is set between pieces.
+_BETWEEN = [*map(chr, [*range(1, 9), *range(14, 28), *range(0xE000, 0xE100)])]
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -57,6 +61,7 @@ class CachedTokenizer:
         self.used = 0
         self.pool = np.zeros(1 << 16, np.uint32)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._add([""], [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)])
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,40 +108,44 @@ class CachedTokenizer:
         total = int(ends[-1]) if len(ends) else 0
         return self.pool[np.arange(total) + np.repeat(self.begin[places] - (ends - n), n)], ends
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts new pieces into the cache; a letter and the marks behind it are never in one token, so a
-        word with marks at its end takes the ids of both."""
-        whole, joint = [], []
-        for p in pieces:
-            stem = p.rstrip(_TAIL)
-            if len(stem) < len(p) and stem and stem[-1].isalpha():
-                joint.append((p, stem, p[len(stem) :]))
-            else:
-                whole.append(p)
-        if new := {x for _, *both in joint for x in both}.union(whole) - self.place.keys():
-            self._encode(list(new))
-        if joint := [x for x in joint if x[0] not in self.place]:
-            both = np.array([(self.place[a], self.place[b]) for _, a, b in joint])
-            ids, _ = self._gather(both.ravel())
-            self._add([p for p, _, _ in joint], [ids], [self.size[both].sum(axis=1)])
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut where tokens never cross."""
-        if not text.isascii() and _OTHER_SPACE.search(text):
-            return [text]
-        return text.encode().lower().decode().split() if self.drops_space else _SPACED.findall(text)
+    def _places(self, pieces: pa.StringArray) -> np.ndarray:
+        """Places of pieces in the cache, new ones learnt."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(found < 0)):
+            self._encode([distinct[k] for k in new.tolist()])
+            found[new] = [self.place[distinct[k]] for k in new.tolist()]
+        return found[coded.indices.to_numpy()]
+
+    def pieces(self, texts: list[str]) -> pa.ListArray:
+        """The texts cut where tokens never cross.
+
+        A piece is a word, with the white space before it unless the tokenizer drops that.
+        """
+        column = pa.array(texts, pa.string())
+        whole = pc.match_substring_regex(column, _OTHER_SPACE)
+        between = next((c for c in _BETWEEN if not pc.any(pc.match_substring(column, c)).as_py()), None)
+        if between is None:
+            return pa.array([[t] for t in texts], pa.list_(pa.string()))
+        if self.drops_space:
+            marked = pc.replace_substring_regex(pc.ascii_lower(column), _SPACE, between)
+        else:
+            marked = pc.replace_substring_regex(column, _SPACE, between + r"\1")
+        return pc.split_pattern(pc.if_else(whole, column, marked), between)
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of ids of each text."""
         if len(self.place) > CACHE_PIECES or self.used > 8 * CACHE_PIECES:
             self._reset()
-        cut = [self.pieces(t) for t in texts]
-        flat = list(chain.from_iterable(cut))
-        if new := set(flat) - self.place.keys():
-            self._learn(new)
-        ids, ends = self._gather(np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat)))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        text_ends = np.concatenate([[0], ends])[np.cumsum(counts)]
+        cut = self.pieces(texts)
+        coded = cut.flatten().dictionary_encode()
+        ended = pc.extract_regex(coded.dictionary, _ENDED)
+        stems = self._places(pc.coalesce(pc.struct_field(ended, "stem"), coded.dictionary))
+        tails = self._places(pc.fill_null(pc.struct_field(ended, "tail"), ""))
+        at = coded.indices.to_numpy()
+        ids, ends = self._gather(np.column_stack([stems[at], tails[at]]).ravel())
+        text_ends = np.concatenate([[0], ends[1::2]])[cut.offsets.to_numpy()[1:]]
         return ids, np.diff(text_ends, prepend=0)
 
 
