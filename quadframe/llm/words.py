@@ -41,8 +41,10 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class CachedTokenizer:
     """Ids of texts by the tokenizer in a file of the ``tokenizers`` library, without special tokens.
 
-    New pieces are encoded many at a time, with a mark between them: a character that has one id of its
-    own there.  Pieces that hold the mark, or that could touch it, are encoded alone.
+    New pieces are encoded many at a time.  Where the tokenizer keeps white space, words with one space
+    before them stand one after another, and the tokens that start with a space tell them apart.  Others
+    have a mark between them: a character that has one id of its own there.  Pieces that hold the mark,
+    or that could touch it, are encoded alone.
     """
 
     def __init__(self, path: str):
@@ -54,6 +56,9 @@ class CachedTokenizer:
         #: upper case in ASCII, which meets the same normal forms.
         self.drops_space = self.tokenizer.normalizer is not None
         self.mark, self.mark_id = next((c, ids[0]) for c in _MARKS if len(ids := self._ids([f" {c}"])[0]) == 1)
+        #: Ids of tokens that start with a space, which the byte-level alphabet writes as this letter.
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)), bool, size)
         self._reset()
 
     def _reset(self) -> None:
@@ -68,26 +73,36 @@ class CachedTokenizer:
 
     def _encode(self, pieces: list[str]) -> None:
         """Puts the ids of pieces that aren't in the cache into it."""
-        if self.drops_space:
-            joined = [p for p in pieces if self.mark not in p]
-            between = f" {self.mark} "
-        else:
-            joined = [p for p in pieces if self.mark not in p and (p[0].isalpha() or p[0] in " \t\n\r\x0b\x0c" and not p.isspace())]
-            between = f" {self.mark}"
-        known = set(joined)
-        alone = [p for p in pieces if p not in known]
-        parts, sizes = [], []
-        for k in range(0, len(joined), 512):
-            some = joined[k : k + 512]
-            ids = np.array(self._ids([between.join(some)])[0], dtype=np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            assert len(cut) == len(some) - 1
-            parts.append(ids[ids != self.mark_id])
-            sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+        spaced, joined, alone = [], [], []
+        for p in pieces:
+            if not self.drops_space and p[:1] == " " and len(p.split()) == 1 and p[1:2].strip():
+                spaced.append(p)
+            elif self.mark in p or not self.drops_space and not (p[:1].isalpha() or p[:1] in " \t\n\r\x0b\x0c" and not p.isspace()):
+                alone.append(p)
+            else:
+                joined.append(p)
+        order, parts, sizes = [], [], []
+        between = f" {self.mark} " if self.drops_space else f" {self.mark}"
+        for group, text in ((spaced, ""), (joined, between)):
+            for k in range(0, len(group), 512):
+                some = group[k : k + 512]
+                ids = np.array(self._ids([text.join(some)])[0], dtype=np.uint32)
+                if text:
+                    cut = np.flatnonzero(ids == self.mark_id)
+                    size = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                    ids = ids[ids != self.mark_id]
+                else:
+                    size = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+                if len(size) != len(some) or size.sum() != len(ids):
+                    alone += some
+                    continue
+                order += some
+                parts.append(ids)
+                sizes.append(size)
         for ids in self._ids(alone) if alone else []:
             parts.append(np.array(ids, dtype=np.uint32))
             sizes.append(np.array([len(ids)]))
-        self._add(joined + alone, parts, sizes)
+        self._add(order + alone, parts, sizes)
 
     def _add(self, pieces: list[str], parts: list[np.ndarray], sizes: list[np.ndarray]) -> None:
         if not pieces:
