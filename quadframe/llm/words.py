@@ -2,12 +2,14 @@
 
 Tokenizing a word costs some microseconds and a corpus repeats its words, so a text is cut at places
 where the tokenizer never joins what stands on both sides, and ids of the pieces are kept in a bounded
-cache.  Texts for which the cut isn't proven to be exact are encoded whole.
+cache.  Texts for which the cut isn't proven to be exact are encoded whole.  So are texts that hold the
+content of a token added to the file, such as ``<|endoftext|>``: the library gives it the token's own id.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import repeat
 
@@ -39,7 +41,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class CachedTokenizer:
-    """Ids of texts by the tokenizer in a file of the ``tokenizers`` library, without special tokens.
+    """Ids of texts by the tokenizer in a file of the ``tokenizers`` library, no special tokens added.
 
     New pieces are encoded many at a time.  Where the tokenizer keeps white space, words with one space
     before them stand one after another, and the tokens that start with a space tell them apart.  Others
@@ -51,7 +53,9 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Contents of added tokens, and those in other case, which a piece may turn into the former.
+        self.added = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = f"{_OTHER_SPACE}|(?i:{self.added})" if self.added else _OTHER_SPACE
         #: The tokenizer normalizes white space and upper case away: pieces hold no white space, and no
         #: upper case in ASCII, which meets the same normal forms.
         self.drops_space = self.tokenizer.normalizer is not None
@@ -74,8 +78,11 @@ class CachedTokenizer:
     def _encode(self, pieces: list[str]) -> None:
         """Puts the ids of pieces that aren't in the cache into it."""
         spaced, joined, alone = [], [], []
+        holds_added = re.compile(self.added).search if self.added else lambda p: None
         for p in pieces:
-            if not self.drops_space and p[:1] == " " and len(p.split()) == 1 and p[1:2].strip():
+            if holds_added(p):
+                alone.append(p)
+            elif not self.drops_space and p[:1] == " " and len(p.split()) == 1 and p[1:2].strip():
                 spaced.append(p)
             elif self.mark in p or not self.drops_space and not (p[:1].isalpha() or p[:1] in " \t\n\r\x0b\x0c" and not p.isspace()):
                 alone.append(p)
@@ -139,7 +146,7 @@ class CachedTokenizer:
         A piece is a word, with the white space before it unless the tokenizer drops that.
         """
         column = pa.array(texts, pa.string())
-        whole = pc.match_substring_regex(column, _OTHER_SPACE)
+        whole = pc.match_substring_regex(column, self.whole)
         between = next((c for c in _BETWEEN if not pc.any(pc.match_substring(column, c)).as_py()), None)
         if between is None:
             return pa.array([[t] for t in texts], pa.list_(pa.string()))
@@ -156,6 +163,8 @@ class CachedTokenizer:
         cut = self.pieces(texts)
         coded = cut.flatten().dictionary_encode()
         ended = pc.extract_regex(coded.dictionary, _ENDED)
+        if self.added:
+            ended = pc.if_else(pc.match_substring_regex(coded.dictionary, self.added), None, ended)
         stems = self._places(pc.coalesce(pc.struct_field(ended, "stem"), coded.dictionary))
         tails = self._places(pc.fill_null(pc.struct_field(ended, "tail"), ""))
         at = coded.indices.to_numpy()
