@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadframe.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
@@ -22,9 +22,15 @@ from quadframe.session import ship
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id isn't listed; rows with null ids stay."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _mark() -> Column:
+    """128 bits that tell rows of different ids or texts apart, null ones too."""
+    each = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("null")) for c in (F.col("doc_id").cast("string"), F.col("text"))]
+    return F.unhex(F.md5(F.concat_ws(",", *each).cast("binary")))
+
+
+def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The documents whose mark isn't listed."""
+    return docs.withColumn("mark", _mark()).join(marks.select("mark").distinct(), "mark", "left_anti").select(*COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +40,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group linked by 80 % of their five-word shingles."""
-    groups = jaccard_join.link_components(docs, jaccard_join.Similarity(words=5, percent=80))
-    return _without(docs, groups.where("doc_id <> component_id")).dropDuplicates(["doc_id", "text"])
+    """Keeps the document with the smallest id, null being the largest, of each group linked by 80 % of their
+    five-word shingles."""
+    once = docs.dropDuplicates(["doc_id", "text"])
+    keyed = once.select(F.struct(F.when(F.col("doc_id").isNull(), F.lit(1)).alias("unknown"), "doc_id", _mark().alias("mark")).alias("row"), "text")
+    groups = jaccard_join.link_components(keyed, jaccard_join.Similarity(words=5, percent=80), key="row")
+    return _without(once, groups.where("doc_id.mark <> component_id.mark").select("doc_id.mark"))
 
 
 def leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    marked = docs.select(_mark().alias("doc_id"), "text")
+    return _without(docs, decontaminate.contaminated(marked, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("mark")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
