@@ -1,6 +1,6 @@
 """Similarity join of documents on their word shingles, exact for a Jaccard threshold.
 
-1. Counting.  Documents are dealt into batches by their id.  A batch sends each distinct shingle, as 32
+1. Counting.  Documents are dealt into batches by their id and text.  A batch sends each distinct shingle, as 32
    bits inside a bucket of the hash space, with the number of its documents.  Buckets add the counts and
    tell the batches which shingles two or more documents have, and how many.  A document needs a share of
    such shingles to have any partner; most have not and are done.  (Shingles that meet in 32 bits only
@@ -296,7 +296,7 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches, buckets = max(2 * n, -(-size // batch_bytes)), max(n, -(-size // (5 * bucket_hashes)))
-    sets = _counted(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key)).alias("batch")), like, buckets)
+    sets = _counted(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key), F.col(text)).alias("batch")), like, buckets)
     alone = sets.where(F.col("set_key").isNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", F.col("id").alias("component_id"))
     shared = sets.where(F.col("set_key").isNotNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", "tokens")
     # equal sets are one class; what they alone have in common no longer counts as shared
