@@ -7,8 +7,10 @@ into 8 blocks: of two within radius 23, one block differs in at most 2 bits, so
 neighbours finds every item within the radius.  Candidates are then compared exactly.
 
 A window can only reach the threshold if that share of its shingles occurs in the benchmark, so only
-such windows are fingerprinted.  Windows at the threshold differ by 9.7 bits of 64 on average; a larger
-difference than 23 has a probability under 1e-5 there and less above.
+such windows are fingerprinted.  If no shingle repeats, windows at the threshold differ by 9.7 bits of 64 on
+average; a larger difference than 23 has a probability under 1e-5 there and less above.  A repeated shingle
+weighs by its square there, so pairs in which the window or the item repeats one are all compared exactly,
+unless the shingles they share are too few.
 
 The benchmark goes to the executors in blocks of a checked size; each block is one pass over the documents.
 
@@ -82,6 +84,13 @@ class Index:
             value = np.arange(256, dtype=np.uint8)
             near = [_ONES[value[:, None] ^ prints[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)]
             self.near[m] = (prints, near)
+        #: For each length: the items' shingles in order and their items, and which items repeat a shingle.
+        self.holders = {}
+        for m, group in by_length.items():
+            own = [np.unique(s) for _, s in group]
+            item = np.repeat(np.arange(len(group)), [len(u) for u in own])
+            order = np.argsort(keys := np.concatenate(own), kind="stable")
+            self.holders[m] = keys[order], item[order], np.array([len(u) < len(s) for u, (_, s) in zip(own, group, strict=True)])
         #: For each shingle size: the items' shingles, and a bitmap of their upper bits for a quick look.
         self.known = {}
         for n in {min(shingle, m) for m in self.lengths}:
@@ -98,6 +107,19 @@ class Index:
         hit[some] = known[place] == shingles[some]
         return hit
 
+    def sharing(self, window: np.ndarray, m: int, least: float) -> list[int]:
+        """Items of m words that may have so many shingles in common with a window; all, or those that
+        repeat a shingle if the window repeats none."""
+        keys, item, repeats = self.holders[m]
+        own, count = np.unique(window, return_counts=True)
+        if len(own) == len(window) and not repeats.any():
+            return []
+        first, end = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+        n = end - first
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        most = np.bincount(item[at], weights=np.repeat(count, n), minlength=len(repeats))
+        return np.flatnonzero((most >= least - 1e-9) & (repeats | (len(own) < len(window)))).tolist()
+
     def search(self, shingles: np.ndarray, hit: np.ndarray, words: int, n: int) -> dict[int, tuple[float, int, int]]:
         """For one document: the best (similarity, first word, words) of each item found, by (m, place)."""
         found: dict = {}
@@ -118,12 +140,14 @@ class Index:
             candidate = near[0][prints[:, 0]]
             for b in range(1, BLOCKS):
                 candidate = candidate | near[b][prints[:, b]]
-            for w, i in zip(*(x.tolist() for x in np.nonzero(candidate)), strict=True):
-                if int(_ONES[prints[w] ^ of_items[i]].sum()) <= self.radius:
-                    at = int(begin[w])
-                    alike = similarity(shingles[at : at + width], self.items[m][i][1])
-                    if alike >= self.threshold and alike > found.get((m, i), (0.0,))[0]:
-                        found[m, i] = alike, at, width + n - 1
+            pairs = {(w, i) for w, i in zip(*(x.tolist() for x in np.nonzero(candidate)), strict=True) if int(_ONES[prints[w] ^ of_items[i]].sum()) <= self.radius}
+            for w, at in enumerate(begin.tolist()):
+                pairs.update((w, i) for i in self.sharing(shingles[at : at + width], m, self.threshold * (m - n + 1)))
+            for w, i in sorted(pairs):
+                at = int(begin[w])
+                alike = similarity(shingles[at : at + width], self.items[m][i][1])
+                if alike >= self.threshold and alike > found.get((m, i), (0.0,))[0]:
+                    found[m, i] = alike, at, width + n - 1
         return found
 
 
