@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch of texts.
+ARROW_BYTES = 8_000_000
+
+
+def for_python(docs: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of this session get few bytes, however long the texts are, unless the
+    session asks for fewer yet."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+    return docs
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt over all cores if its files give fewer partitions than there are cores."""
+    rows, cores = read_table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def release() -> None:
+    """Gives a Python worker's freed memory back, for workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

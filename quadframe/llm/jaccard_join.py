@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadframe.llm.common import bucket_of, cut, partitions, read_table, text_or_empty
+from quadframe.llm.common import bucket_of, cut, for_python, partitions, read_table, text_or_empty
 from quadframe.llm.components import connected_components
 from quadframe.llm.hashing import bucket_by_hash, mix, run_hashes, runs_of_documents, word_hashes
 
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 BUCKET_HASHES = 2_000_000
 #: Shingles in at most so many documents are rare: they are indexed alone.
 RARE = 16
@@ -293,7 +293,7 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     ``component_id`` is the smallest id that links reach.  ``set_key`` names the set, null where a
     document can't have a partner.
     """
-    n = partitions(docs.sparkSession)
+    n = partitions(for_python(docs).sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches, buckets = max(2 * n, -(-size // batch_bytes)), max(n, -(-size // (5 * bucket_hashes)))
     sets = _counted(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key), F.col(text)).alias("batch")), like, buckets)

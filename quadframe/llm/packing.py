@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadframe.llm.common import cut, read_table
+from quadframe.llm.common import cut, for_python, read_spread, release
 from quadframe.llm.ranks import number_within
 from quadframe.llm.words import text_batches, tokenizer
 
@@ -114,6 +114,7 @@ def _pieces(path: str, end_id: int, sequence: int, key_type: pa.DataType) -> Cal
                         for column, value in zip(rows, (i + part.start, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows[0], pa.int64())), *(pa.array(r, pa.int64()) for r in rows[1:])], schema=schema)
+        release()
 
     return run
 
@@ -124,7 +125,7 @@ def tokenize_and_cut(docs: DataFrame, path: str, end_id: int = END_ID, sequence:
 
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType
-    return source.mapInArrow(_pieces(path, end_id, sequence, types.to_arrow_type(kind)), f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return for_python(source).mapInArrow(_pieces(path, end_id, sequence, types.to_arrow_type(kind)), f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
@@ -154,5 +155,5 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents")
     return pack(tokenize_and_cut(docs, public_tokenizers.path("word_bpe_49k.json")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadframe.llm.common import partitions, read_table, shared_dir
+from quadframe.llm.common import for_python, partitions, read_table, shared_dir
 from quadframe.llm.words import text_batches, tokenizer
 
 END_ID = 0
@@ -161,7 +161,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_
     source = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType
     ranged = source.repartitionByRange(2 * partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    segments = ranged.mapInArrow(_segments(tokenizer_path, end_id, types.to_arrow_type(kind), segment_chars), f"part int, segment long, doc_ids array<{kind.simpleString()}>, counts array<long>, n_ids long, offsets binary, words binary")
+    segments = for_python(ranged).mapInArrow(_segments(tokenizer_path, end_id, types.to_arrow_type(kind), segment_chars), f"part int, segment long, doc_ids array<{kind.simpleString()}>, counts array<long>, n_ids long, offsets binary, words binary")
     segments.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
 

@@ -179,7 +179,7 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def text_batches(texts: list[str], chars: int = 4_000_000):
+def text_batches(texts: list[str], chars: int = 2_000_000):
     """Slices of a list of texts with about so many characters each, one text at least."""
     begin = size = 0
     for i, t in enumerate(texts):
