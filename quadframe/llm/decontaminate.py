@@ -16,7 +16,7 @@ The benchmark goes to the executors in blocks of a checked size; each block is o
 
 Defined results: null or empty texts and items match nothing; texts shorter than an item are compared
 whole; items under five words are compared as one shingle; equal items and repeated rows are each
-reported; with an empty table there are no rows; more columns are neither read nor in the way.
+reported, also if their ids are null; with an empty table there are no rows; more columns are neither read nor in the way.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadframe.llm.common import bucket_of, read_table
+from quadframe.llm.common import bucket_of, for_python, read_spread, read_table, release
 from quadframe.llm.hashing import mix, run_hashes, runs_of_documents, word_hashes
 from quadframe.llm.words import text_batches
 
@@ -37,8 +37,14 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RADIUS = 23
 BLOCKS = 8
+#: Characters of text that are split into words at a time.
+SLICE = 1_000_000
 #: Bytes of benchmark text that one pass sends to each executor.
 BLOCK_BYTES = 16_000_000
+#: Items of such a block at most, on average.
+BLOCK_ITEMS = 50_000
+#: Windows times items that are marked at a time.
+CELLS = 1_000_000
 
 _SPACES = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 _ONES = np.array([bin(v).count("1") for v in range(256)], np.uint8)
@@ -78,12 +84,16 @@ class Index:
                 by_length.setdefault(len(words), []).append((key, run_hashes(word_hashes(words), min(shingle, len(words)))))
         self.lengths = sorted(by_length)
         self.items = by_length
+        #: For each value of a block, the values that differ in few enough bits.
+        value = np.arange(256)
+        self.neighbours = np.stack([np.flatnonzero(_ONES[value ^ v] <= radius // BLOCKS) for v in value])
+        #: For each length: the items' fingerprints, and for each block the items in order of its value and where each
+        #: value's items begin.
         self.near = {}
         for m, group in by_length.items():
             prints = to_blocks(np.stack([signs(s).sum(axis=0) for _, s in group]))
-            value = np.arange(256, dtype=np.uint8)
-            near = [_ONES[value[:, None] ^ prints[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)]
-            self.near[m] = (prints, near)
+            lists = [(np.argsort(p, kind="stable").astype(np.int32), np.searchsorted(np.sort(p), np.arange(257))) for p in prints.T]
+            self.near[m] = prints, lists
         #: For each length: the items' shingles in order and their items, and which items repeat a shingle.
         self.holders = {}
         for m, group in by_length.items():
@@ -107,6 +117,25 @@ class Index:
         hit[some] = known[place] == shingles[some]
         return hit
 
+    def within(self, prints: np.ndarray, m: int) -> Iterator[tuple[int, int]]:
+        """Windows and items of m words whose fingerprints lie within the radius: each block's neighbours are looked up in
+        its list.  Windows are taken in slices, so the marks of candidates stay small however many items there are."""
+        of_items, lists = self.near[m]
+        step = max(1, CELLS // len(of_items))
+        for k in range(0, len(prints), step):
+            some = prints[k : k + step]
+            candidate = np.zeros((len(some), len(of_items)), bool)
+            for b, (order, starts) in enumerate(lists):
+                values = self.neighbours[some[:, b]].ravel()
+                begin = starts[values]
+                n = starts[values + 1] - begin
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)
+                candidate[np.repeat(np.arange(len(values)) // self.neighbours.shape[1], n), order[at]] = True
+            for w in np.flatnonzero(candidate.any(axis=1)).tolist():
+                i = np.flatnonzero(candidate[w])
+                near = _ONES[some[w] ^ of_items[i]].sum(axis=1) <= self.radius
+                yield from ((w + k, x) for x in i[near].tolist())
+
     def sharing(self, window: np.ndarray, m: int, least: float) -> list[int]:
         """Items of m words that may have so many shingles in common with a window; all, or those that
         repeat a shingle if the window repeats none."""
@@ -136,11 +165,7 @@ class Index:
             if sums is None:
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles), axis=0, dtype=np.int32)])
             prints = to_blocks(sums[begin + width] - sums[begin])
-            of_items, near = self.near[m]
-            candidate = near[0][prints[:, 0]]
-            for b in range(1, BLOCKS):
-                candidate = candidate | near[b][prints[:, b]]
-            pairs = {(w, i) for w, i in zip(*(x.tolist() for x in np.nonzero(candidate)), strict=True) if int(_ONES[prints[w] ^ of_items[i]].sum()) <= self.radius}
+            pairs = set(self.within(prints, m))
             for w, at in enumerate(begin.tolist()):
                 pairs.update((w, i) for i in self.sharing(shingles[at : at + width], m, self.threshold * (m - n + 1)))
             for w, i in sorted(pairs):
@@ -157,7 +182,7 @@ def _scan(index: Index, doc_type: pa.DataType, item_type: pa.DataType) -> Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in text_batches(texts):
+            for part in text_batches(texts, SLICE):
                 cut = [split_words(t) for t in texts[part]]
                 lengths = np.fromiter(map(len, cut), np.int64, len(cut))
                 hashes = word_hashes([w for ws in cut for w in ws])
@@ -174,6 +199,7 @@ def _scan(index: Index, doc_type: pa.DataType, item_type: pa.DataType) -> Callab
                                 column.append(value)
                 if rows[0]:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0])), pa.array(rows[1], item_type), pa.array(rows[2]), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64())], schema=schema)
+        release()
 
     return run
 
@@ -184,8 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes))
+    size, n = items.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    blocks = max(1, -(-2 * (size or 0) // block_bytes), -(-n // BLOCK_ITEMS))
     source = docs.select("doc_id", "text")
     doc_kind, item_kind = source.schema["doc_id"].dataType, items.schema["item_id"].dataType
     found = None
@@ -193,7 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         own = items.where(bucket_of(blocks, "item_id", "text") == b).sort("item_id", "text").collect()
         index = Index([tuple(r) for r in own], shingle, threshold, radius)
         if index.known:
-            part = source.mapInArrow(_scan(index, types.to_arrow_type(doc_kind), types.to_arrow_type(item_kind)), f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, similarity double, start long, n_words long")
+            part = for_python(source).mapInArrow(_scan(index, types.to_arrow_type(doc_kind), types.to_arrow_type(item_kind)), f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, similarity double, start long, n_words long")
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, similarity double, start long, n_words long")
@@ -217,4 +243,4 @@ select doc_id, item_id, similarity, cast(s - 1 as bigint) as start, cast(n_words
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds."""
-    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contaminated(read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
