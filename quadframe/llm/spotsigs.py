@@ -13,6 +13,8 @@ neither read nor in the way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -107,9 +109,10 @@ def _range_number(key: Column, cuts: list) -> Column:
     return full * width + F.when(full < len(blocks), F.size(F.filter(own, lambda c: c >= key))).otherwise(len(cuts) - len(blocks) * width)
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, columns: list[str], derive: Callable[[DataFrame], DataFrame] | None = None, derived: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``next_<column>``: what the next row in descending order of the key has there; the first row
-    follows the last.  Null keys come last.
+    follows the last.  Null keys come last.  ``derive`` adds the columns ``derived`` from others after the rows have been
+    dealt, so they aren't shuffled; they get their ``next_`` as well.
 
     Rows are dealt into ranges of the key; the first row of each range also stands, as a ghost, at the end
     of the range before it, so no task sees more than its range.  One row of numbers for each range, a
@@ -122,14 +125,17 @@ def with_next(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     dealt = rows.withColumn("__range", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(_range_number(F.col(key), cuts)))
     firsts = sorted(dealt.groupBy("__range").agg(F.max(key).alias("k")).collect())
     if not firsts:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        rows = derive(rows) if derive else rows
+        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in (*columns, *derived)))
     before = spark.createDataFrame([(r["__range"], firsts[i - 1]["__range"]) for i, r in enumerate(firsts)], "__range int, __to int")
     whole = F.struct(F.col(key).isNotNull().alias("known"), F.col(key), *columns)
     first = dealt.where(F.col(key).isin([r["k"] for r in firsts if r["k"] is not None]) | F.col(key).isNull()).groupBy("__range").agg(F.max(whole).alias("row"))
     ghosts = first.join(F.broadcast(before), "__range").select(F.col("__to").alias("__range"), "row.*", F.lit(True).alias("__ghost")).drop("known")
     both = dealt.withColumn("__ghost", F.lit(False)).unionByName(ghosts, allowMissingColumns=True)
+    if derive:
+        both = derive(both.repartition("__range"))
     inside = W.partitionBy("__range").orderBy("__ghost", whole.desc())
-    return both.select("*", *(F.lead(c).over(inside).alias(f"next_{c}") for c in columns)).where("not __ghost").drop("__range", "__ghost")
+    return both.select("*", *(F.lead(c).over(inside).alias(f"next_{c}") for c in (*columns, *derived))).where("not __ghost").drop("__range", "__ghost")
 
 
 def edited(text: Column, next_text: Column) -> Column:
@@ -142,7 +148,7 @@ def edited(text: Column, next_text: Column) -> Column:
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and how much they and the next one's agree."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(add_signatures(docs, "text", "s"), "doc_id", ["text", "s"])
+    rows = with_next(docs, "doc_id", ["text"], lambda dealt: add_signatures(dealt, "text", "s"), ("s",))
     rows = add_signatures(rows.withColumn("edited", edited(F.col("text"), F.col("next_text"))), "edited", "e")
     return rows.select(
         "doc_id",
