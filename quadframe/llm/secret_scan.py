@@ -11,6 +11,7 @@ columns other than the key and the text are neither read nor in the way.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadframe.llm.common import bucket_of, path_exists, read_table, text_or_empty
+from quadframe.llm.common import bucket_of, path_exists, read_table, shared_dir, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -162,11 +163,21 @@ class BlobLedger:
         return join_back(versions, self.findings().where(F.col("rule_version") == rule_version).drop("batch"), text, key)
 
 
+def commit_history(ledger: BlobLedger, docs: DataFrame) -> None:
+    """Commits the documents as they came, in two batches: those up to the median id, then the others, rows without
+    an id among them.  A content of the first batch isn't scanned again in the second."""
+    middle = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    older = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+    ledger.commit("1", docs.where(older))
+    ledger.commit("2", docs.where(~older))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: counts by kind, all spans and their SHA-256."""
+    """Per document: counts by kind, all spans and their SHA-256, by a fresh ledger in the shared folder."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings, _ = scan_unseen(docs)
-    joined = join_back(docs, findings).select("doc_id", "found")
+    ledger = BlobLedger(spark, f"{shared_dir(spark)}/secrets-{uuid.uuid4().hex}")
+    commit_history(ledger, docs)
+    joined = ledger.report(docs).select("doc_id", "found")
     count = lambda kind: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == kind)), F.lit(0))
     n = lambda kind: F.when(F.col("found").isNull(), F.lit(0)).otherwise(count(kind)).cast("long").alias(f"n_{kind}")
     return joined.select("doc_id", *(n(r.kind) for r in RULES), F.sha2(spans(F.col("found")), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
