@@ -89,7 +89,6 @@ def test_secret_scan(spark, docs, none, tmp_path):
 def test_cached_tokenizer(texts, name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     ids, counts = words.tokenizer(path).encode_batch(texts)
     assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and len(counts) == len(texts)
 
@@ -98,19 +97,27 @@ def plain_ids(name, text, end):
     return [*Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids, end]
 
 
-def test_token_counts(spark, docs, none, tmp_path):
+def test_token_counts(spark, none, tmp_path):
+    """Inserts, a revision, a delete and a repeated batch: totals by group are those of counting what is left."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     ledger = token_counts.TokenLedger(spark, str(tmp_path / "counts"))
     assert ledger.totals().isEmpty()
-    for _ in range(2):
-        ledger.commit("a", path, "v1", docs)
-    total = ledger.totals().collect()[0]
-    assert total["documents"] == len(ROWS) and total["tokens"] == sum(len(plain_ids("byte_bpe_50k.json", t, 0)) - 1 for _, t in ROWS)
-    ledger.commit("b", path, "v1", frame(spark, [(1, "new")]), docs)
-    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(1, 1, 3)]
-    ledger.commit("c", path, "v1", deleted=frame(spark, [(1, "new")]))
-    ledger.commit("d", path, "v1", none)
-    assert ledger.totals().isEmpty()
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    first = [(i, t, f"s{k % 3}", (None, "en", "de")[k % 3 - k % 2]) for k, (i, t) in enumerate(ROWS)]
+    again = [(3, "revised text", "s9", "en"), (15, "one for three", "s1", "de"), (None, "no id", "s0", None), (777, "new", "s0", "en")]
+    gone = [(1, None, None, None), (25, "not read", "s7", "xx"), (12345, "unknown", "s0", "en")]
+    steps = [("a", {"inserted": table(first)}), ("b", {"revised": table(again)}), ("c", {"deleted": table(gone)}), ("d", {"inserted": none})]
+    for name, what in steps:
+        assert ledger.commit(name, path, "v1", **what) and not ledger.commit(name, path, "v1", **what)
+    left = [r for r in first if r[0] not in (3, 15, 1, 25)] + again
+    expected = defaultdict(lambda: np.zeros(3, int))
+    for _, text, source, lang in left:
+        expected[source, lang, "v1"] += (1, len(plain_ids("byte_bpe_50k.json", text, 0)) - 1, len(text or ""))
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in ledger.totals().collect()} == {k: tuple(v.tolist()) for k, v in expected.items()}
+    ledger.commit("e", path, "v2", inserted=table(again))
+    assert ledger.totals().where("tokenizer = 'v2'").agg(F.sum("documents")).first()[0] == 4
+    ledger.commit("f", path, "v2", deleted=table(again))
+    assert ledger.totals().where("tokenizer = 'v2'").agg(F.sum("documents")).first()[0] == 1  # the row without an id
 
 
 @settings(max_examples=40, deadline=None)
