@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadframe.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
-from quadframe.llm.common import read_table, shared_dir
+from quadframe.llm.common import cut, read_table, shared_dir
 from quadframe.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,9 +28,29 @@ def _mark() -> Column:
     return F.unhex(F.md5(F.concat_ws(",", *each).cast("binary")))
 
 
+#: Marks of 16 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_MARKS = 500_000
+
+
+def _listed(marks: DataFrame) -> tuple[DataFrame, int]:
+    """Different marks, kept in the shared folder and counted, so that few of them spare a shuffle of texts."""
+    kept = cut(marks.select("mark").distinct())
+    n = kept.count()
+    return (F.broadcast(kept) if n <= BROADCAST_MARKS else kept), n
+
+
 def _without(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """The documents whose mark isn't listed."""
-    return docs.withColumn("mark", _mark()).join(marks.select("mark").distinct(), "mark", "left_anti").select(*COLUMNS)
+    return docs.withColumn("mark", _mark()).join(_listed(marks)[0], "mark", "left_anti").select(*COLUMNS)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """The documents, rows of one id and text once; only rows that repeat are shuffled."""
+    marked = docs.withColumn("mark", _mark())
+    repeated, n = _listed(marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if not n:
+        return marked
+    return marked.join(repeated, "mark", "left_anti").unionByName(marked.join(repeated, "mark", "left_semi").dropDuplicates(["mark"]))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +62,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id, null being the largest, of each group linked by 80 % of their
     five-word shingles."""
-    once = docs.dropDuplicates(["doc_id", "text"])
-    keyed = once.select(F.struct(F.when(F.col("doc_id").isNull(), F.lit(1)).alias("unknown"), "doc_id", _mark().alias("mark")).alias("row"), "text")
+    once = _once(docs)
+    keyed = once.select(F.struct(F.when(F.col("doc_id").isNull(), F.lit(1)).alias("unknown"), "doc_id", "mark").alias("row"), "text")
     groups = jaccard_join.link_components(keyed, jaccard_join.Similarity(words=5, percent=80), key="row")
     return _without(once, groups.where("doc_id.mark <> component_id.mark").select("doc_id.mark"))
 
