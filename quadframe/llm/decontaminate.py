@@ -43,6 +43,8 @@ SLICE = 1_000_000
 BLOCK_BYTES = 16_000_000
 #: Items of such a block at most, on average.
 BLOCK_ITEMS = 50_000
+#: Items of one length that are compared without looking up their blocks.
+FEW = 64
 #: Windows times items that are marked at a time.
 CELLS = 1_000_000
 
@@ -72,6 +74,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+def soonest_repeat(shingles: np.ndarray) -> np.ndarray:
+    """For each place: the first place by which a shingle that stands there or later has come again; past the end if none
+    has.  A window repeats a shingle if that place lies in it."""
+    order = np.argsort(shingles, kind="stable")
+    again = np.full(len(shingles), len(shingles))
+    same = np.flatnonzero(shingles[order[1:]] == shingles[order[:-1]])
+    again[order[same]] = order[same + 1]
+    return np.minimum.accumulate(again[::-1])[::-1]
+
+
 class Index:
     """Items of a block, by their number of words."""
 
@@ -119,8 +131,13 @@ class Index:
 
     def within(self, prints: np.ndarray, m: int) -> Iterator[tuple[int, int]]:
         """Windows and items of m words whose fingerprints lie within the radius: each block's neighbours are looked up in
-        its list.  Windows are taken in slices, so the marks of candidates stay small however many items there are."""
+        its list.  Windows are taken in slices, so the marks of candidates stay small however many items there are.  A few
+        items are compared without their lists, which finds the same."""
         of_items, lists = self.near[m]
+        if len(of_items) <= FEW:
+            apart = np.bitwise_count(prints.view("<u8") ^ of_items.view("<u8").ravel())
+            yield from zip(*(x.tolist() for x in np.nonzero(apart <= self.radius)), strict=True)
+            return
         step = max(1, CELLS // len(of_items))
         for k in range(0, len(prints), step):
             some = prints[k : k + step]
@@ -164,9 +181,11 @@ class Index:
                 continue
             if sums is None:
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles), axis=0, dtype=np.int32)])
+                soonest = soonest_repeat(shingles)
             prints = to_blocks(sums[begin + width] - sums[begin])
             pairs = set(self.within(prints, m))
-            for w, at in enumerate(begin.tolist()):
+            repeating = np.arange(len(begin)) if self.holders[m][2].any() else np.flatnonzero(soonest[begin] < begin + width)
+            for w, at in zip(repeating.tolist(), begin[repeating].tolist(), strict=True):
                 pairs.update((w, i) for i in self.sharing(shingles[at : at + width], m, self.threshold * (m - n + 1)))
             for w, i in sorted(pairs):
                 at = int(begin[w])
