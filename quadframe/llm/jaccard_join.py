@@ -21,6 +21,9 @@
    carries the few signatures before it in its class's order; where two entries have one of these in
    common, the pair has met there already and isn't made again.
 
+Hot keys: a signature's entries and a set's documents are dealt over as many salts as there are shuffle
+partitions, and what is known of the key goes to those of its salts that occur.
+
 Defined results: a null or empty text has an empty set and links with nothing; repeated rows link with
 each other if their set isn't empty; null ids are rows like others, and a component of such rows alone
 has a null id; an empty table gives an empty result; more columns are neither read nor in the way.
@@ -187,7 +190,7 @@ def _sets(like: Similarity, buckets: int) -> Callable:
                 by = np.lexsort((h, v))
                 tokens[i] = h[by].astype("<u8").tobytes()
                 rare[i] = v[by].tobytes()
-        return pa.table({"id": docs["id"], "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.int64()), "unshared": pa.array(sizes - shared, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "levels": pa.array(rare, pa.binary())})
+        return pa.table({"id": docs["id"], "batch": docs["batch"], "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.int64()), "unshared": pa.array(sizes - shared, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "levels": pa.array(rare, pa.binary())})
 
     return run
 
@@ -244,13 +247,13 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame, like: Similarity, buckets: int) -> DataFrame:
-    """Sets of rows ``(id, text or tokens, batch)`` with how often their shingles occur: ``(id, n_shingles,
+    """Sets of rows ``(id, text or tokens, batch)`` with how often their shingles occur: ``(id, batch, n_shingles,
     set_key, unshared, tokens, levels)``.  ``set_key`` is null if too few shingles occur in another row;
     shingles stand in one row of a batch for each key."""
     kind = rows.schema["id"].dataType.simpleString()
     sent = rows.groupBy("batch").applyInArrow(_send(like.words, buckets), "bucket long, batch int, codes binary, many binary, counts binary")
     replies = sent.groupBy("bucket").applyInArrow(_count, "batch int, bucket long, codes binary, levels binary")
-    return cut(rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_sets(like, buckets), f"id {kind}, n_shingles long, set_key long, unshared long, tokens binary, levels binary"))
+    return cut(rows.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_sets(like, buckets), f"id {kind}, batch int, n_shingles long, set_key long, unshared long, tokens binary, levels binary"))
 
 
 def _possible(like: Similarity, n: Column, u: Column, m: Column, v: Column) -> Column:
@@ -259,23 +262,24 @@ def _possible(like: Similarity, n: Column, u: Column, m: Column, v: Column) -> C
     return 100 * most >= like.percent * (n + m - most)
 
 
-def _links(index: DataFrame, classes: DataFrame, like: Similarity, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Links that connect all components, and the components of linked nodes."""
+def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarity, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Links that connect all components, and the components of linked nodes.  ``met``: the salts of each signature."""
     spark = index.sparkSession
     links, found = None, spark.createDataFrame([], "node long, component long")
     for last in [*[False] * rounds, True]:
         placed = index.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = F.min(F.struct("unshared", "node", "n", "component")).alias("first")
         if not last:
-            entries = placed.groupBy("signature").agg(first, F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+            salted = placed.groupBy("signature", "salt").agg(first, F.min("component").alias("least"), F.max("component").alias("most"))
+            entries = salted.groupBy("signature").agg(F.min("first").alias("first"), F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most")
             other = (F.col("component") != F.col("first.component")) & _possible(like, F.col("n"), F.col("unshared"), F.col("first.n"), F.col("first.unshared"))
-            pairs = placed.join(entries, "signature").where(other).groupBy(F.col("node").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.node").alias("b"))
+            pairs = placed.join(entries.join(met, "signature"), ["signature", "salt"]).where(other).groupBy(F.col("node").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.node").alias("b"))
         else:
             members = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
             main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
-            open_ = cut(placed.join(main, "signature"))
-            x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
+            open_ = cut(placed.join(main.join(met, "signature"), ["signature", "salt"]))
+            x, y = open_.where("component <> main").drop("salt").join(met, "signature").alias("x"), open_.alias("y")
+            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         new = _linked(pairs, classes, like.percent)
         if new.isEmpty():
@@ -298,18 +302,24 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     batches, buckets = max(2 * n, -(-size // batch_bytes)), max(n, -(-size // (5 * bucket_hashes)))
     sets = _counted(docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"), bucket_of(batches, F.col(key), F.col(text)).alias("batch")), like, buckets)
     alone = sets.where(F.col("set_key").isNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", F.col("id").alias("component_id"))
-    shared = sets.where(F.col("set_key").isNotNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", "tokens")
+    shared = sets.where(F.col("set_key").isNotNull()).select(F.col("id").alias("doc_id"), "n_shingles", "set_key", "tokens", "batch", bucket_of(n, "id").alias("salt"))
     # equal sets are one class; what they alone have in common no longer counts as shared
-    once = shared.where(F.col("tokens").isNotNull()).groupBy(F.col("set_key").alias("id")).agg(F.first("tokens").alias("tokens"))
+    told = shared.where(F.col("tokens").isNotNull())  # one row of a set in each batch that has it
+    chosen = told.groupBy("set_key", (F.col("batch") % n).alias("part")).agg(F.min("batch").alias("batch")).groupBy("set_key").agg(F.min("batch").alias("batch"))
+    once = told.join(chosen, ["set_key", "batch"], "left_semi").select(F.col("set_key").alias("id"), "tokens")
     classes = _counted(once.withColumn("batch", bucket_of(batches, F.col("id"))), like, buckets).where(F.col("set_key").isNotNull()).select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "unshared", "tokens", "levels")
-    index = classes.mapInArrow(_signatures(like), "signature long, node long, n long, unshared long, before array<long>")
-    met = index.groupBy("signature").agg(F.count(F.lit(1)).alias("entries")).where("entries > 1").select("signature")
-    _, found = _links(cut(index.join(met, "signature")), classes, like, rounds)
-
-    named = shared.groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    index = classes.mapInArrow(_signatures(like), "signature long, node long, n long, unshared long, before array<long>").withColumn("salt", bucket_of(n, "node"))
+    counts = index.groupBy("signature", "salt").agg(F.count(F.lit(1)).alias("entries"))
+    many = counts.groupBy("signature").agg(F.sum("entries").alias("entries")).where("entries > 1")
+    met = cut(counts.join(many, "signature", "left_semi").select("signature", "salt"))
+    _, found = _links(cut(index.join(met, ["signature", "salt"])), met, classes, like, rounds)
+
+    parts = shared.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"))
+    named = parts.groupBy(F.col("set_key").alias("node")).agg(F.min("least").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "component").select(F.col("node").alias("set_key"), "component_id")
-    return alone.unionByName(shared.join(ids, "set_key").select("doc_id", "n_shingles", "set_key", "component_id"))
+    salted = parts.select("set_key", "salt").join(ids, "set_key")
+    return alone.unionByName(shared.join(salted, ["set_key", "salt"]).select("doc_id", "n_shingles", "set_key", "component_id"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
