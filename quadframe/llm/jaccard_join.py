@@ -22,7 +22,8 @@
    common, the pair has met there already and isn't made again.
 
 Hot keys: a signature's entries and a set's documents are dealt over as many salts as there are shuffle
-partitions, and what is known of the key goes to those of its salts that occur.
+partitions, and what is known of the key goes to those of its salts that occur.  The leftover pairs of the last step are joined by the signature alone: a copy for each salt would
+make more rows than there are pairs.
 
 Defined results: a null or empty text has an empty set and links with nothing; repeated rows link with
 each other if their set isn't empty; null ids are rows like others, and a component of such rows alone
@@ -278,8 +279,8 @@ def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarit
             members = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
             main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
             open_ = cut(placed.join(main.join(met, "signature"), ["signature", "salt"]))
-            x, y = open_.where("component <> main").drop("salt").join(met, "signature").alias("x"), open_.alias("y")
-            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
+            x, y = open_.where("component <> main").alias("x"), open_.alias("y")
+            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         new = _linked(pairs, classes, like.percent)
         if new.isEmpty():
