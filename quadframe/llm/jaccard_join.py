@@ -19,11 +19,14 @@
    component yet are compared, unless their unshared shingles rule a link out, so no link between
    components is lost, while a group of near copies costs a comparison or two for each member.  An entry
    carries the few signatures before it in its class's order; where two entries have one of these in
-   common, the pair has met there already and isn't made again.
+   common, the pair has met there already and isn't made again.  Before whole sets are sent, odd
+   sketches are compared: 512 bits, each the parity of the shingles that hash to it.  Every bit that
+   differs is a shingle of one side alone, so a pair with too many of them is no link for sure.
 
 Hot keys: a signature's entries and a set's documents are dealt over as many salts as there are shuffle
-partitions, and what is known of the key goes to those of its salts that occur.  The leftover pairs of the last step are joined by the signature alone: a copy for each salt would
-make more rows than there are pairs.
+partitions, and what is known of the key goes to those of its salts that occur.  The leftover pairs of a
+signature are a grid of cells with about ``CELL`` entries on each side: an entry goes to one row or column
+of it, so copies are fewer than the pairs by that factor.
 
 Defined results: a null or empty text has an empty set and links with nothing; repeated rows link with
 each other if their set isn't empty; null ids are rows like others, and a component of such rows alone
@@ -53,6 +56,10 @@ RARE = 16
 BEFORE = 8
 #: Rounds in which each class is compared with one other, before all that are left.
 ROUNDS = 2
+#: Entries of one signature on each side of a cell of leftover pairs, in the mean.
+CELL = 1000
+#: Longs of an odd sketch.
+ODD_LONGS = 8
 
 
 @dataclass(frozen=True)
@@ -240,10 +247,27 @@ def _compare(percent: int) -> Callable:
     return run
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs of classes that are linked, by comparing their whole sets."""
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of hashes in each of 64 * ODD_LONGS places, as longs."""
+    places = 64 * ODD_LONGS
+    odd = np.bincount((mix(hashes) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [odd_sketch(np.frombuffer(x.as_py(), "<u8")) for x in batch.column("tokens")]
+        odd = np.array(made, np.int64).reshape(-1, ODD_LONGS)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(odd[:, k]) for k in range(ODD_LONGS))], names=["node", "n", *(f"odd{k}" for k in range(ODD_LONGS))])
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes that are linked, by comparing their whole sets where their sketches allow a link."""
+    named = lambda s: sketches.select(F.col("node").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in sketches.columns[1:]))
+    differ = sum((F.bit_count(F.col(f"a_odd{k}").bitwiseXOR(F.col(f"b_odd{k}"))) for k in range(ODD_LONGS)), F.lit(0))
+    near = pairs.join(named("a"), "a").join(named("b"), "b").where((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b")
     tokens = lambda s: classes.select(F.col("node").alias(s), F.col("tokens").alias(f"{s}_tokens"))
-    both = pairs.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "a_tokens", "b_tokens")
+    both = near.join(tokens("a"), "a").join(tokens("b"), "b").select("a", "b", "a_tokens", "b_tokens")
     return cut(both.mapInArrow(_compare(percent), "a long, b long"))
 
 
@@ -263,9 +287,10 @@ def _possible(like: Similarity, n: Column, u: Column, m: Column, v: Column) -> C
     return 100 * most >= like.percent * (n + m - most)
 
 
-def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarity, rounds: int) -> tuple[DataFrame, DataFrame]:
+def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarity, rounds: int, cell: int) -> tuple[DataFrame, DataFrame]:
     """Links that connect all components, and the components of linked nodes.  ``met``: the salts of each signature."""
     spark = index.sparkSession
+    sketches = cut(classes.select("node", "n", "tokens").mapInArrow(_sketches, "node long, n long, " + ", ".join(f"odd{k} long" for k in range(ODD_LONGS))))
     links, found = None, spark.createDataFrame([], "node long, component long")
     for last in [*[False] * rounds, True]:
         placed = index.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -277,12 +302,18 @@ def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarit
             pairs = placed.join(entries.join(met, "signature"), ["signature", "salt"]).where(other).groupBy(F.col("node").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.node").alias("b"))
         else:
             members = placed.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
-            main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("main")).where("components > 1").select("signature", F.col("main.component").alias("main"))
-            open_ = cut(placed.join(main.join(met, "signature"), ["signature", "salt"]))
-            x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-            apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
+            largest = F.max(F.struct("members", "component"))
+            main = members.groupBy("signature").agg(F.count(F.lit(1)).alias("components"), F.sum("members").alias("entries"), largest.alias("main")).where("components > 1")
+            sides = [F.ceil((F.col("entries") - F.col("main.members")) / cell).cast("int").alias("rows"), F.ceil(F.col("entries") / cell).cast("int").alias("columns")]
+            main = main.select("signature", F.col("main.component").alias("main"), *sides)
+            open_ = cut(placed.join(main.join(met, "signature"), ["signature", "salt"]).drop("salt"))
+            own, every = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int"), lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+            x = open_.where("component <> main").withColumns({"row": own("rows"), "column": every("columns")}).alias("x")
+            y = open_.withColumns({"column": own("columns"), "row": every("rows")}).alias("y")
+            cells = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column"))
+            apart = cells & (F.col("x.component") != F.col("y.component")) & _possible(like, F.col("x.n"), F.col("x.unshared"), F.col("y.n"), F.col("y.unshared")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))) & ~F.arrays_overlap("x.before", "y.before")
             pairs = x.join(y, apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        new = _linked(pairs, classes, like.percent)
+        new = _linked(pairs, classes, sketches, like.percent)
         if new.isEmpty():
             if last:
                 break
@@ -292,7 +323,7 @@ def _links(index: DataFrame, met: DataFrame, classes: DataFrame, like: Similarit
     return links, found
 
 
-def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id", batch_bytes: int = BATCH_BYTES, bucket_hashes: int = BUCKET_HASHES, rounds: int = ROUNDS) -> DataFrame:
+def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str = "text", key: str = "doc_id", batch_bytes: int = BATCH_BYTES, bucket_hashes: int = BUCKET_HASHES, rounds: int = ROUNDS, cell: int = CELL) -> DataFrame:
     """``(doc_id, n_shingles, set_key, component_id)`` for every row.
 
     ``component_id`` is the smallest id that links reach.  ``set_key`` names the set, null where a
@@ -313,7 +344,7 @@ def link_components(docs: DataFrame, like: Similarity = Similarity(), text: str
     counts = index.groupBy("signature", "salt").agg(F.count(F.lit(1)).alias("entries"))
     many = counts.groupBy("signature").agg(F.sum("entries").alias("entries")).where("entries > 1")
     met = cut(counts.join(many, "signature", "left_semi").select("signature", "salt"))
-    _, found = _links(cut(index.join(met, ["signature", "salt"])), met, classes, like, rounds)
+    _, found = _links(cut(index.join(met, ["signature", "salt"])), met, classes, like, rounds, cell)
 
     parts = shared.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"))
     named = parts.groupBy(F.col("set_key").alias("node")).agg(F.min("least").alias("least")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -193,15 +193,26 @@ def brute_components(rows, n, percent):
     return Counter((k, len(sets[i]), min(least[root(i)], default=None)) for i, (k, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_jaccard_join(spark, none, n, percent):
+def test_odd_sketch():
+    """Bits that differ are never more than the hashes that one side alone has."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 3000):
+        a, extra = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 2**63, 25).astype(np.uint64)
+        b = np.concatenate([a[n // 8 :], extra])
+        differ = sum(int(x).bit_count() for x in (jaccard_join.odd_sketch(a) ^ jaccard_join.odd_sketch(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) and (n > 40 or differ > 0.8 * len(np.setxor1d(a, b)))
+        assert not (jaccard_join.odd_sketch(a) ^ jaccard_join.odd_sketch(a[::-1])).any()
+
+
+@pytest.mark.parametrize(("n", "percent", "rounds", "cell"), [(3, 90, 2, 1000), (5, 80, 2, 1000), (3, 90, 0, 2), (5, 80, 0, 3)])
+def test_jaccard_join(spark, none, n, percent, rounds, cell):
     rows = list(ROWS)
     for c in range(3):  # chains of near copies at all distances around the threshold
         text = sentence(80)
         for k in range(14):
             rows.append((1000 + 100 * c + k, text))
             text = edited(text, 1 if k % 3 else 0) if c else edited(rows[-1 - k][1], k % 5)
-    got = jaccard_join.link_components(frame(spark, rows), jaccard_join.Similarity(n, percent), batch_bytes=2000, bucket_hashes=500)
+    got = jaccard_join.link_components(frame(spark, rows), jaccard_join.Similarity(n, percent), batch_bytes=2000, bucket_hashes=500, rounds=rounds, cell=cell)
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == brute_components(rows, n, percent)
     assert jaccard_join.link_components(none).isEmpty()
 
